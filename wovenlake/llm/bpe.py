@@ -139,8 +139,7 @@ class Codec:
         self.lower = {i: chr(i).lower() for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).lower() != chr(i)}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.encoder.special)) + ")")
         self.mark = "<|"
-        self.inner, self.final = {b: 1 + b for b in range(256)}, {b: chr(301 + b) for b in range(256)}
-        self.to_symbols = bytes.maketrans(b"", b"")
+        self.inner = {b: chr(1 + b) for b in range(256)}
         self.pieces: dict[str, list[int]] = {}
         self.names = [self.encoder.tokens.get(i, "") for i in range(max(self.encoder.tokens) + 1)]
         self.decimals = [str(i) for i in range(len(self.names))]
@@ -151,8 +150,7 @@ class Codec:
             if len(self.pieces) >= 200_000:
                 self.pieces.clear()
             raw = piece.encode("utf-8")
-            # latin-1 gives byte b as chr(b); symbols are one higher
-            symbols = "".join([chr(1 + b) for b in raw[:-1]]) + chr(301 + raw[-1])
+            symbols = raw[:-1].decode("latin-1").translate(self.inner) + chr(301 + raw[-1])
             got = self.pieces[piece] = self.encoder.word(symbols)
         return got
 
@@ -188,7 +186,7 @@ class Codec:
 def codec(path: str) -> tuple[Codec, ChunkTable]:
     """One per worker process."""
     c = Codec(path)
-    return c, ChunkTable(lambda new: [c.chunk(x) for x in new])
+    return c, ChunkTable(lambda new: [c.chunk(x.decode("utf-8")) for x in new])
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +197,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, table = codec(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             n, ids_hash, text_hash = [], [], []
             for a, b in small_batches(texts):
                 ids, at = table.ids(texts[a:b])

@@ -1,8 +1,9 @@
 """Token ids of whole texts through a bounded table of white-space chunks.
 
-Neither normalisation nor pre-tokenisation of the word vocabulary looks across white space, so the ids of a text are
-the ids of its chunks in a row. Chunks recur, so each Python worker keeps a table from chunk to ids; a full table is
-emptied and filled again, so memory is bounded and results don't depend on it.
+Texts are UTF-8 bytes here, and bytes.split() cuts at ASCII white space only. Neither normalisation nor
+pre-tokenisation of the word vocabulary looks across white space, so the ids of a text are the ids of its chunks in a
+row. Chunks recur, so each Python worker keeps a table from chunk to ids; a full table is emptied and filled again, so
+memory is bounded and results don't depend on it.
 """
 
 from __future__ import annotations
@@ -10,69 +11,73 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: White space to str.split() that is not ASCII white space; texts with it are split by the pattern below.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+#: Chunks that one worker remembers; about 150 bytes each.
+TABLE_CHUNKS = 800_000
 
 
-def chunks(text: str) -> list[str]:
-    """Runs of anything but ASCII white space."""
-    if ODD_SPACE.search(text) is None:
-        return text.split()
-    return [x for x in ASCII_SPACE.split(text) if x]
+def chunks(text: bytes) -> list[bytes]:
+    """Runs of anything but ASCII white space. Pure ASCII is lower-cased at once, as the vocabulary has no upper case
+    (not beside other characters, since composition comes before lower-casing, nor beside special tokens)."""
+    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
 
 
 class ChunkTable:
-    """encode_many turns a list of chunks into a list of id lists. At most ``cap`` chunks are remembered."""
+    """encode_many turns a list of chunks into id lists. At most about ``cap`` chunks are remembered."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], cap: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[bytes]], Iterable[list[int]]], cap: int = TABLE_CHUNKS):
         self.encode_many, self.cap = encode_many, cap
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.n, self.used = 0, 0
-        self.starts, self.lengths, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-
-    def _learn(self, new: list[str]) -> None:
-        for chunk, ids in zip(new, self.encode_many(new), strict=True):
-            k = len(ids)
-            if self.n == len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            while self.used + k > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + k] = ids
-            self.starts[self.n], self.lengths[self.n] = self.used, k
-            self.index[chunk] = self.n
-            self.n, self.used = self.n + 1, self.used + k
-
-    def rows(self, words: list[str]) -> np.ndarray:
+        self.index: dict[bytes, int] = {}
+        self.starts, self.lengths, self.flat, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        lists = list(self.encode_many(new))
+        lengths = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum(dtype=np.int64)))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        n = len(self.index)
+        if n + len(new) > len(self.starts):
+            grown = max(1 << 12, 2 * (n + len(new)))
+            self.starts, self.lengths = (np.concatenate([x[:n], np.zeros(grown - n, np.int32)]) for x in (self.starts, self.lengths))
+        self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(new)] = lengths
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.used += len(ids)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
         """Table row of every word; call it once per small batch, as it may empty the table first."""
-        if self.n > self.cap:
+        if len(self.index) > self.cap:
             self.clear()
-        got = list(map(self.index.get, words))
-        if None in got:
-            self._learn(list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None)))
-            got = list(map(self.index.__getitem__, words))
-        return np.array(got, np.int64)
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            lost = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(lost)))
+            got[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int32, len(lost))
+        return got
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start (one more entry than texts)."""
         split = [chunks(t) for t in texts]
         rows = self.rows(list(itertools.chain.from_iterable(split)))
         lengths = self.lengths[rows]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
+        ends = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        places = np.arange(ends[-1], dtype=np.int32)
+        places += np.repeat(self.starts[rows] - ends[:-1].astype(np.int32), lengths)
         return self.flat[places], ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
 
 
-def small_batches(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters; a longer text stands alone."""
+def small_batches(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` bytes; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
@@ -99,9 +104,9 @@ def library_table(path: str) -> ChunkTable:
     mark, mark_id = next((x.content, i) for i, x in t.get_added_tokens_decoder().items() if x.special)
     specials = [x.content for x in t.get_added_tokens_decoder().values()]
 
-    def encode_many(new: list[str]) -> Iterator[list[int]]:
+    def encode_many(new: list[bytes]) -> Iterator[list[int]]:
         for k in range(0, len(new), 2_000):
-            group = new[k : k + 2_000]
+            group = [x.decode("utf-8") for x in new[k : k + 2_000]]
             joined = mark.join(group)
             if joined.count(mark[:2]) > len(group) - 1 and any(s in x for x in group for s in specials):
                 yield from (e.ids for e in t.encode_batch_fast(group, add_special_tokens=False))
@@ -109,6 +114,6 @@ def library_table(path: str) -> ChunkTable:
             ids = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == mark_id)
             starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            yield from (ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+            yield from (ids[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
     return ChunkTable(encode_many)
