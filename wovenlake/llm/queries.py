@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, bpe, lang_id, lm_score, ngram_join, quality_rules
+from . import best_fit_packing, bpe, lang_id, lm_score, ngram_join, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"), folds=3, fold=1)
 
@@ -49,10 +53,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op9_language_id": op9_language_id,
     "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }
