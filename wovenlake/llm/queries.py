@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, best_fit_packing, bpe, lang_id, lm_score, ngram_join, quality_rules, warc
+from . import ann, best_fit_packing, bpe, lang_id, lm_score, ngram_join, quality_rules, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_secret_scan": op5_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op9_language_id": op9_language_id,
