@@ -30,6 +30,8 @@ RATIOS = (
     ("word_length", 1_200, "both"),
 )
 
+BROADCAST_GROUPS = 20_000
+
 
 @dataclass(frozen=True)
 class QualityParameters:
@@ -111,11 +113,10 @@ def fences(sketch: DataFrame, groups: list[str], reach: int) -> DataFrame:
     return q.groupBy(*groups).agg(*[pick(r, c) for r, _, sides in RATIOS for c in (("lo", "hi") if sides == "both" else ("hi",))])
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, parameters: QualityParameters | None = None) -> DataFrame:
-    """carry columns, the counts, base_failed and kept for every row of docs.
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, parameters: QualityParameters | None = None, names: list[str] | None = None) -> DataFrame:
+    """carry columns (doc_id; called names, if given), the counts, base_failed and kept for every row of docs.
 
-    The fences are joined back on (lang, source); the join moves counts, not texts. Spark broadcasts the fences if
-    their measured size allows it, and otherwise sorts and splits a skewed group.
+    The fences are joined back on (lang, source), by broadcast if their counted number is small.
     """
     p = parameters or QualityParameters()
     carry = carry if carry is not None else ["doc_id"]
@@ -127,15 +128,16 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # texts are read and measured once; the sketches and the join both read the narrow table of counts, and no
     # later filter can be pushed down into (and so repeat) the array expressions
     m = materialise(m, "quality")
-    f = fences(sketches(m, ["grp"]), ["grp"], p.reach)
-    j = m.join(f, "grp", "left")
+    f = materialise(fences(sketches(m, ["grp"]), ["grp"], p.reach), "fences")
+    # up to this many groups the fences go to all tasks; beyond, both sides are shuffled on the group
+    j = m.join(F.broadcast(f) if f.count() <= BROADCAST_GROUPS else f, "grp", "left")
     inside = F.lit(True)
     for r, _, sides in RATIOS:
         inside = inside & F.coalesce(F.col(r) <= F.col(f"hi_{r}"), F.lit(True))
         if sides == "both":
             inside = inside & F.coalesce(F.col(r) >= F.col(f"lo_{r}"), F.lit(True))
     out = j.withColumn("kept", ~F.col("base_failed") & inside)
-    return out.select(*[F.col(h).alias(c) for h, c in zip(held, carry)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, names or carry, strict=True)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 ORACLE_SQL = r"""
