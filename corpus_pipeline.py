@@ -1,20 +1,75 @@
-"""The corpus pipeline: each stage calls one training-data operator; see STAGES."""
+"""The corpus pipeline: each stage calls one training-data operator on all documents that its predecessor kept.
+
+1. quality rules: documents that the adaptive rules reject go.
+2. language ID: documents without a recognisable language go.
+3. n-gram Jaccard join: the document with the smallest id of each group of near duplicates stays.
+4. secret scans: secrets in the text are replaced by a mark, and n_chars follows.
+5. best-fit packing: the result, one row per packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wovenlake.llm import quality_rules
+from wovenlake.llm import best_fit_packing, lang_id, ngram_join, quality_rules, queries, secret_scan
 from wovenlake.llm.shared import materialise
 
+#: Texts whose best language gets less than this mean share of the positions are rejected.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Near duplicates share at least this percentage of their distinct five-word shingles.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Ids to drop are broadcast up to so many.
+BROADCAST_IDS = 500_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality verdict is 'kept'."""
-    judged = quality_rules.judge(docs, carry=list(docs.columns), with_text=True)
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep."""
+    judged = quality_rules.judge(docs, carry=list(docs.columns), names=[f"kept_{c}" for c in docs.columns])
+    return judged.filter("kept").select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted language isn't und and whose score is high enough."""
+    found = lang_id.identify(docs, carry=list(docs.columns))
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the group's smallest id.
+
+    Of rows that repeat both id and text one stays. Documents without an id have no smallest id to yield to; they
+    stay.
+    """
+    groups = materialise(ngram_join.similar_components(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "duplicates")
+    dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    few = dropped.count() <= BROADCAST_IDS  # else texts and ids are shuffled
+    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1):
+        return left
+    row = F.when(F.col("doc_id").isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    return left.withColumns({"__row": row, "__text": F.xxhash64("text")}).dropDuplicates(["doc_id", "__row", "__text"]).select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces of all documents in sequences of 2048 tokens."""
+    return best_fit_packing.pack(docs, queries.vocabulary())
 
 
-STAGES = [("quality rules", quality_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", join_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
