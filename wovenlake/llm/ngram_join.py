@@ -213,11 +213,12 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90, class_lim
     least = next(s for s in itertools.count(1) if s - (s * percent + 99) // 100 > 0 or 100 * s >= percent * (s + 1)) if percent < 100 else 1 << 62
     nodes = table.filter(f"node is not null and n_shingles >= {least}").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     able = nodes.join(single, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= own).select("doc_id", F.col("node").alias("wanted"))
+    able = materialise(able, "able", release=True)
 
     # step 3: whole sets of the rest. A row whose id isn't unique gives its own set; only the wanted one stays.
     whole = set_table(docs.join(able, "doc_id", "left_semi"), n, 1)
     sets = whole.join(able, (whole["doc_id"] == able["doc_id"]) & (whole["node"] == able["wanted"]), "left_semi")
-    sets = materialise(sets.select("node", "n_shingles", F.col("probe").alias("tokens")).dropDuplicates(["node"]), "sets")
+    sets = materialise(sets.select("node", "n_shingles", F.col("probe").alias("tokens")).dropDuplicates(["node"]), "sets", release=True)
     rows = sets.select("node", "n_shingles", F.explode("tokens").alias("token"))
     frequency = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = rows.join(frequency, "token")
@@ -231,7 +232,7 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90, class_lim
         k = F.when(F.col("x.df") <= limit, i + 1).otherwise(k)
     prefix = per_node.select("node", F.explode("t").alias("x")).select("node", k.alias("k"), F.col("x.token").alias("token")).groupBy("node", "k").agg(F.collect_list("token").alias("tokens"))
     entries = combination_keys(prefix)
-    entries = materialise(entries, "entries")
+    entries = materialise(entries, "entries", release=True)
     heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
     entries = entries.join(heads.select("key", "head"), "key")
 

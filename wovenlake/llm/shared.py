@@ -33,26 +33,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wovenlake/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    release: also have the driver drop its references to finished shuffles, so that executors delete their files
+    before the next large shuffle begins (Spark does so only when the driver happens to collect garbage).
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def folder_of(df: DataFrame) -> str:
-    """The folder that a materialised table was read from."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def base_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed: extra columns of the caller can't clash with internal names."""
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
