@@ -1,29 +1,15 @@
-"""Queries for the relational core and, through the modules below, for every other operator family."""
+"""All registered queries of the engine's own operators, with their SQL, by family."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import queries_graph, queries_index, queries_rdf, queries_relational
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue of orders above 1000 per market segment, large segments first."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    j = o.filter(F.col("o_totalprice") > 1000).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    g = j.groupBy("c_mktsegment").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
-    return g.filter("n_orders > 1").orderBy(F.desc("revenue"), "c_mktsegment")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"join_agg": join_agg}
-
-ORACLES: dict[str, str] = {
-    "join_agg": """SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000
-        GROUP BY c_mktsegment HAVING count(*) > 1 ORDER BY revenue DESC, c_mktsegment""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for _family in (queries_relational, queries_index, queries_graph, queries_rdf):
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
