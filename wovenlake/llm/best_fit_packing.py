@@ -66,8 +66,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(shortest, longest) length of each band: capacity over 1 to 8, then halves down to about capacity / 64."""
-    longest = [h for h in dict.fromkeys([*(capacity // k for k in range(1, 9)), *(capacity >> k for k in range(4, 7))]) if h > 0]
+    """(shortest, longest) length of each band: capacity over 1, 2, 3, 6 and 16.
+
+    Each round of each band is a few Spark jobs, so bands are few; more of them don't pack more tightly.
+    """
+    longest = [h for h in dict.fromkeys(capacity // k for k in (1, 2, 3, 6, 16)) if h > 0]
     return [(b + 1, a) for a, b in zip(longest, [*longest[1:], 0], strict=True)]
 
 
