@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import materialise, new_folder
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 10
     """
     spark = edges.sparkSession
     folder = new_folder(spark, name)
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # written first: the first round reads the edges several times, and what makes them may be costly
+    e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     last = None
     for k in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
