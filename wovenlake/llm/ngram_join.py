@@ -145,7 +145,9 @@ def combination_keys(prefixes: DataFrame) -> DataFrame:
 def verify_blocks(sets: dict[int, np.ndarray], left: list[int], right: list[int] | None, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the exact links between left and right nodes, or within left if right is None.
 
-    Overlaps of one set with all others come from an inverted index of the block and one bincount.
+    Overlaps of one set with all others come from an inverted index of the block and one bincount. It ends when the
+    nodes not yet compared are in one component (or, for two blocks, when one side has none left): every other pair
+    has been compared. So a block of copies of one text takes a few comparisons, not one for each node.
     """
     nodes = left if right is None else [*left, *right]
     size = np.array([len(sets[v]) for v in nodes])
@@ -157,17 +159,17 @@ def verify_blocks(sets: dict[int, np.ndarray], left: list[int], right: list[int]
     rank = np.empty(len(tokens), np.int64)
     rank[order] = np.repeat(np.arange(len(first)), count)
     starts = np.concatenate([[0], np.cumsum(size)])
-    root = list(range(len(nodes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(len(nodes))  # component of each node
+    open_ = np.ones(len(nodes), bool)  # not yet compared with all others
+    n_left = len(nodes) if right is None else len(left)
     links = []
-    n_left = len(left)
-    for i in range(len(nodes) if right is None else n_left):
+    while open_[:n_left].any() and (right is None or open_[n_left:].any()):
+        sizes = np.bincount(label[open_], minlength=len(nodes))
+        outside = np.flatnonzero(open_ & (label != sizes.argmax()))
+        if not len(outside):
+            break
+        i = int(outside[0]) if len(outside) < np.count_nonzero(open_[:n_left]) else int(open_.argmax())
+        open_[i] = False
         own = rank[starts[i] : starts[i + 1]]
         own = own[count[own] > 1]
         if not len(own):
@@ -175,11 +177,10 @@ def verify_blocks(sets: dict[int, np.ndarray], left: list[int], right: list[int]
         c = count[own]
         at = np.repeat(first[own] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
         overlap = np.bincount(owner[at], minlength=len(nodes))
-        linked = np.flatnonzero(100 * overlap >= percent * (size + size[i] - overlap))
-        for j in linked[linked > i if right is None else linked >= n_left].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
+        linked = np.flatnonzero((100 * overlap >= percent * (size + size[i] - overlap)) & (label != label[i]))
+        for j in linked.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 links.append((nodes[i], nodes[j]))
     return links
 
