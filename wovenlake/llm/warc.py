@@ -139,7 +139,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
     fs, base = _filesystem(folder)
     fs.create_dir(base)
-    ready.mapInArrow(write, MANIFEST).coalesce(max(1, len(starts) // 64)).write.json(f"{folder}/_manifest-temporary")
+    ready.mapInArrow(write, MANIFEST).write.json(f"{folder}/_manifest-temporary")
     fs.move(f"{base}/_manifest-temporary", f"{base}/manifest")
 
 
