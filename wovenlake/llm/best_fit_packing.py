@@ -5,8 +5,10 @@ are put in one order by size, gaps first among equals, and one sweep gives every
 that still fits and that no other piece of the round takes. Taking the sweep from large to small, a gap opens a
 bracket and a piece closes the innermost open one, so the bracket depth is the rank that resolves conflicts; depths
 are prefix sums, and a piece belongs to the gap before it at the same depth. Matched gaps shrink, and the round
-repeats until no gap of the band can take a piece. Pieces left over then open new sequences, floor(capacity / longest)
-to each, in order of length.
+repeats until no gap of the band can take a piece. Pieces left over then open new sequences among themselves, longest
+first and each filled with whatever still fits. That layout needs only the number of pieces of each length (at most
+capacity numbers): it is a list of fillings, each repeated many times, and a piece finds its own by its rank in its
+length.
 
 Everything runs as shuffles on (size, kind, salt) and on depth. The salt splits a length that holds a large part of
 all rows; one depth holds at most two rows per size, so no group grows with the input. Only counts per class (at most
@@ -112,18 +114,45 @@ def sweep(rows: DataFrame, capacity: int, salts: int) -> DataFrame:
     )
 
 
-def open_sequences(pieces: DataFrame, capacity: int, each: int, salts: int) -> DataFrame:
-    """New sequences of ``each`` pieces in order of falling length: (kind, id, size, piece, offset), a row per piece;
-    the first of a sequence has its gap as size, others 0. The sequence's id is that of its first piece."""
-    if each == 1:
+def fillings(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """First fit by falling size: (size, first, end, bin, each, offset). The pieces of a size with ranks first to end - 1
+    lie ``each`` to a sequence, from sequence ``bin`` on and from ``offset`` in it."""
+    left, used, rows, bins = dict(counts), dict.fromkeys(counts, 0), [], 0
+    sizes = sorted(counts, reverse=True)
+    while sizes:
+        room, filling = capacity, []
+        for s in sizes:
+            n = min(room // s, left[s])
+            if n:
+                filling.append((s, n))
+                room -= n * s
+            if room < sizes[-1]:
+                break
+        times, offset = min(left[s] // n for s, n in filling), 0
+        for s, n in filling:
+            rows.append((s, used[s], used[s] + n * times, bins, n, offset))
+            used[s] += n * times
+            left[s] -= n * times
+            offset += n * s
+        bins += times
+        sizes = [s for s in sizes if left[s]]
+    return rows
+
+
+def open_sequences(pieces: DataFrame, capacity: int, alone: bool, salts: int) -> DataFrame:
+    """New sequences that hold all pieces, one each if ``alone``: (kind, id, size, piece, offset), a row per piece; the
+    first of a sequence has its gap as size, others 0. The sequence's id is that of its first piece."""
+    if alone:
         return pieces.select(F.lit(0).alias("kind"), "id", (F.lit(capacity) - F.col("size")).cast("long").alias("size"), F.col("id").alias("piece"), F.lit(0).cast("long").alias("offset"))
+    counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    plan = pieces.sparkSession.createDataFrame(fillings(counts, capacity), "of bigint, first bigint, end bigint, bin bigint, each bigint, start bigint")
     ranked, _ = _rank(pieces.withColumn("kind", F.lit(1)), [F.desc("size_")], salts)
-    rank = F.col("place") - F.col("depth")  # all rows count -1 each
-    w = Window.partitionBy("bin").orderBy("rank")
-    n = ranked.withColumn("rank", rank).withColumn("bin", F.expr(f"rank div {each}"))
-    n = n.withColumns({"first": F.first("id").over(w), "offset": F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("size").over(Window.partitionBy("bin"))})
-    gap = F.when(F.col("id") == F.col("first"), F.lit(capacity) - F.col("all")).otherwise(0)
-    return n.select(F.lit(0).alias("kind"), F.col("first").alias("id"), gap.cast("long").alias("size"), F.col("id").alias("piece"), F.col("offset").cast("long").alias("offset"))
+    # the plan depends on the numbers per size only, at most capacity of them
+    n = ranked.join(F.broadcast(plan), (F.col("size") == F.col("of")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end")))
+    n = n.select("id", "size", F.expr("bin + (place - first) div each").alias("bin"), F.expr("start + (place - first) % each * size").alias("offset"))
+    n = n.withColumns({"opener": F.min_by("id", "offset").over(Window.partitionBy("bin")), "all": F.sum("size").over(Window.partitionBy("bin"))})
+    gap = F.when(F.col("offset") == 0, F.lit(capacity) - F.col("all")).otherwise(0)
+    return n.select(F.lit(0).alias("kind"), F.col("opener").alias("id"), gap.cast("long").alias("size"), F.col("id").alias("piece"), F.col("offset").cast("long").alias("offset"))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -166,7 +195,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     break
             gaps = idle.unionByName(active)
         if left:
-            opened, _ = write(open_sequences(todo.drop("kind"), capacity, capacity // high, salts), n=F.count("*"))
+            opened, _ = write(open_sequences(todo.drop("kind"), capacity, capacity // low == 1, salts), n=F.count("*"))
             done.append(opened)
             new = opened.filter("size > 0").select("kind", "id", "size")
             gaps = new if gaps is None else gaps.unionByName(new)
