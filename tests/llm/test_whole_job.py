@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import pytest
 
-from wovenlake.llm import best_fit_packing
+from wovenlake.llm import best_fit_packing, lm_score, queries
 
 
 @pytest.mark.parametrize("low,high", [(1, 1), (10, 10), (129, 129), (400, 400), (342, 409)])
@@ -26,3 +27,37 @@ def test_packing_of_concentrated_lengths(spark, low, high):
             at += size
         assert at <= 2048
     assert len(by_seq) <= -(-n // (2048 // high))
+
+
+def test_lm_scores_read_what_lies_behind_the_sample(spark):
+    """Equal ids, words and first 20 000 bytes; only the order of words behind them differs."""
+    ids = range(20)
+    held = next(i for i in ids if zlib.crc32(str(i).encode()) % 7 == 2)
+    head = " ".join(f"filler{i % 50}" for i in range(3000))
+    got = []
+    for tail in ("house river " * 500, "house " * 500 + "river " * 500):
+        rows = [(i, "house river " * 20 if i == held else f"{head} {tail}") for i in ids]
+        scores = lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string"), queries.vocabulary()).collect()
+        got.append(next(r for r in scores if r["doc_id"] == held))
+    assert got[0]["base_score"] == got[1]["base_score"]
+    assert got[0]["score"] > got[1]["score"]
+
+
+def test_lm_mixture_stays_a_distribution():
+    import numpy as np
+
+    p = lm_score.LmParameters(head_classes=3, tail_classes=2, width=4)
+    names, counts = ["a", "b", "c</w>", "d", "e</w>", ""], np.array([5, 4, 3, 2, 1, 2])
+    model = lm_score.AttentionModel(5, p, *lm_score.subword_classes(names, counts, p))
+    cells = lm_score.followers(np.array([0, 1, 2, 0]), np.array([0, 3, 3, 4]), model.context)
+    c = model.context
+    assert sorted(cells) == sorted([c[6] * 6 + 0, c[0] * 6 + 1, c[1] * 6 + 2, c[2] * 6 + 5, c[6] * 6 + 5, c[6] * 6 + 0, c[0] * 6 + 5])
+    seen = np.bincount(cells, minlength=36).reshape(6, 6) + counts / counts.sum()
+    model.follow = (seen / seen.sum(1, keepdims=True)).astype(np.float32)
+    model.freeze()
+    # all texts of at most one id: the end at once, or an id first
+    first = [10 ** (model.log10(np.array([i]), np.array([0, 1]))[0]) for i in range(5)]
+    end = 10 ** model.log10(np.zeros(0, np.int64), np.array([0, 0]))[0]
+    after = [10 ** (model.log10(np.array([i, j]), np.array([0, 2]))[0]) for i in range(5) for j in range(5)]
+    assert end + sum(first) + sum(after) < 1 + 1e-5
+    assert end > 0 and all(x > 0 for x in first + after)
