@@ -19,11 +19,12 @@ _EDGES = """edges AS (SELECT src, dst, min(weight) AS weight FROM (SELECT l_part
 _SPARSE = _EDGES.replace("weight >= 20", "weight >= 46")
 
 
-def part_edges(spark: SparkSession, d: str, least: float = 20) -> DataFrame:
-    """(src, dst, weight) of the edges labelled R; the window runs inside single orders."""
+def part_edges(spark: SparkSession, d: str, least: float | None = 20) -> DataFrame:
+    """(src, dst, weight) of the edges labelled R, of weight ``least`` at least or all; the window runs inside single orders."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("label"))
-    return written(e.filter((F.col("label") == "R") & (F.col("weight") >= least) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
+    heavy = F.lit(True) if least is None else F.col("weight") >= least
+    return written(e.filter((F.col("label") == "R") & heavy & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
 
 
 @query(f"WITH {_EDGES} SELECT * FROM edges")
@@ -142,3 +143,24 @@ def graph_first_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, ORACLES = query.queries, query.oracles
+
+#: The same queries on all edges of the label and to any depth; without SQL, as a closure over the whole graph is too slow there.
+ENDLESS = 1_000_000
+_ON_ALL = {
+    "graph_edges": lambda e: e,
+    "graph_degrees": graph.degree_checked,
+    "graph_distances": lambda e: graph.reachable(e, SOURCE, ENDLESS).fillna(-1, ["parent"]),
+    "shortest_path": lambda e: graph.shortest_path(e, SOURCE, TARGET, ENDLESS),
+    "path_page": lambda e: graph.shortest_path(e, SOURCE, TARGET, ENDLESS).filter("position between 1 and 2").select("position", "vertex"),
+    "weighted_distances": lambda e: graph.weighted_distances(e, SOURCE, ENDLESS).select("vertex", "distance"),
+    "weighted_path": lambda e: graph.trace(graph.weighted_distances(e, SOURCE, ENDLESS), TARGET).agg(F.max("distance").alias("total_weight")),
+    "pagerank": lambda e: graph.pagerank(e, most_iterations=8),
+    "pagerank_personal": lambda e: graph.pagerank(e, most_iterations=8, personal=SOURCE),
+    "community": lambda e: graph.communities(e, 5),
+    "community_modularity": lambda e: graph.modularity(e, graph.communities(e, 5)),
+    "cycles": lambda e: graph.cycles(e, 3).select("length", F.array_join("cycle", "-").alias("cycle")),
+    "scc": lambda e: graph.components_strong(e, ENDLESS),
+    "toposort": lambda e: graph.topological_levels(e, ENDLESS),
+    "graph_first_edges": lambda e: graph.first_per_vertex(e, 2),
+}
+WHOLE = {f"{k}_whole": (lambda spark, d, f=f: f(part_edges(spark, d, None))) for k, f in _ON_ALL.items()}
