@@ -197,6 +197,30 @@ def test_join_chains_and_frequent_words(spark):
     assert Counter(map(tuple, ngram_join.similar_components(df, class_limits=(8, 64)).collect())) == brute_components(rows, 3, 90)
 
 
+def test_join_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words[:100], "x", *words[101:]])), (2, "other words here"), (2, " ".join([*words[:150], "y", *words[151:]])), (None, " ".join(reversed(words))), (None, None), (None, " ".join(reversed(words[1:])))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.similar_components(df).collect())) == brute_components([(i, t or "") for i, t in rows], 3, 90)
+
+
+@pytest.mark.parametrize("limits", [(256,), (4,), (4, 16)])
+def test_join_of_large_groups_in_small_blocks(spark, monkeypatch, limits):
+    """Near copies by the hundred, linked and not, so that pivots and pairs of blocks decide."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    monkeypatch.setattr(ngram_join, "SINGLE_SIZE", 8)
+    g = np.random.default_rng(4)
+    rows = []
+    for k in range(240):
+        words = [f"b{k % 2}-{i}" for i in range(90)]
+        for i in g.choice(90, int(g.integers(0, 5)), replace=False):
+            words[int(i)] = f"n{g.integers(0, 50)}"
+        rows.append((1000 - k, " ".join(words[: int(g.integers(70, 91))])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.similar_components(df, class_limits=limits).collect())) == brute_components(rows, 3, 90)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tests.llm.test_operators import DOCS, ODD, brute_components, texts_of
+from tests.llm.test_llm_operators import DOCS, ODD, brute_components, texts_of
 from wovenlake.llm import lang_id, quality_rules, secret_scan
 
 
