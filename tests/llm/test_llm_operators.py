@@ -287,6 +287,28 @@ def test_warc_odd_rows_and_files(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_shards_split_heavy_ids_and_payloads(spark, tmp_path):
+    """One far-off id, one id that many pages share, 3000 equal pages; files roll by compressed size."""
+    rows = [(k, f"http://h/{k}", f"<p>{k} {'x' * 300}</p>") for k in range(500)]
+    rows += [(1 << 60, "far", "<p>far</p>")] + [(7, f"u{k}", f"<p>seven {k}</p>") for k in range(300)] + [(None, "n", f"{k}") for k in range(300)]
+    rows += [(1000 + k, "same", "<p>same</p>") for k in range(1500)] + [(5000, "equal", "<p>equal</p>")] * 1500
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    folder = f"file://{tmp_path}/w"
+    warc.write_archive(df, folder, shard_bytes=100_000, roll_bytes=8_000)
+    files = spark.read.json(f"{folder}/manifest").collect()
+    by = defaultdict(int)
+    for f in files:
+        by[f["shard"]] += f["records"]
+    assert len(by) > 15 and max(by.values()) < 300 and len(files) > len(by) and all(f["bytes"] <= 9_000 for f in files)
+    got = warc.read_archive(spark, folder).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for i, u, h in rows:
+        largest = max((j for j, _, g in rows if g == h and j is not None), default=None) if h.startswith("<p>same") or h.startswith("<p>equal") else i
+        want[(i, u, "response" if i == largest else "revisit", None if i == largest else largest)] += 1
+    assert Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got) == want
+
+
 def test_html_blocks_and_labels(spark, data):
     page = "<html><body><nav><a>Home</a></nav><article><h1>T &amp; U</h1><p>one\n two</p><script>no()</script></article><footer>foot</footer></body></html>"
     cut = html_extract.blocks(page)

@@ -1,24 +1,28 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id into shards of about equal payload, cut on a bounded histogram of the ids, so the layout
-depends on the data alone. Within a shard records are written in id order and files roll when their compressed size
-passes a limit. Headers, record ids and digests are made again from the record. A file is written under a temporary
-name of its task attempt and renamed when complete; since its content is fixed by its name, a repeated or speculative
-attempt replaces it by the same bytes. Names, sizes and checksums of all files go to a manifest, and the manifest's
-own rename commits the archive: readers take files from the manifest only.
-
-Equal payloads: the record with the largest page id is the response, the others are revisits that refer to it. The
-digests find it by an aggregate with partial results and a join on narrow rows, so a payload that a third of all pages
-share costs one row per task.
+Pages are range-sorted by (id, payload digest) into shards of about equal payload. The cuts come from running sums
+over the sorted narrow keys, so the layout depends on the data alone, and neither a far-off id nor an id (or null)
+that many pages share makes a large shard. Payloads are shuffled once, to the task of their shard. Within a shard
+records are written in key and url order and files roll when their compressed size passes a limit. Headers, record
+ids and digests are made again from the record. A file is written under a temporary name of its task attempt and
+renamed when complete; since its content is fixed by its name, a repeated or speculative attempt replaces it by the
+same bytes. Names, sizes and checksums of all files go to a manifest, and the manifest's own rename commits the
+archive: readers take files from the manifest only.
+
+Equal payloads: the record with the largest page id is the response, the others are revisits that refer to it. That id
+is found by an aggregate over digests with partial sums; narrow rows (id, digest, response) travel to the shards of
+their records and precede them there, so a payload that a third of all pages share never meets in one task.
 
 Defined results: null html is an empty payload. A null id sorts first, never wins over an id, and refers_to is null if
-the response has no id. Rows with equal id and equal payload that are the largest are all responses. An empty table
-gives an archive with an empty manifest.
+the response has no id. Rows with equal id and equal payload that are the largest are all responses. Rows equal in id
+and payload that outweigh two shards are dealt to several; how many each gets follows the order of the input. An empty
+table gives an archive with an empty manifest.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -28,20 +32,23 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import base_columns, new_folder
+from .shared import Scratch, base_columns, new_folder, remove
 
 #: Files roll after so many compressed bytes.
 ROLL_BYTES = 64_000_000
 #: A shard holds about so many payload bytes.
 SHARD_BYTES = 24_000_000
-#: Cells of the histogram of ids.
-CELLS = 4096
+#: Weight of a record beside its payload.
+RECORD_BYTES = 600
+#: Shards grow beyond SHARD_BYTES where the archive would have more than so many.
+MOST_SHARDS = 65_536
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -104,43 +111,96 @@ class ShardWriter:
 MANIFEST = "file string, shard int, records bigint, bytes bigint, crc32 bigint"
 
 
+def shard_bounds(weights: DataFrame, shard_bytes: int, most_shards: int, scratch: Scratch) -> tuple[int, list[tuple]]:
+    """(number of shards, [(page_id, sha, first shard, shards of this key)]): keys (page_id, sha) in order, cut where the
+    running sum of their weight (long, one row a key) passes a multiple of the shard size.
+
+    The sum over all keys comes from sums of the range-sorted partitions, so the cuts depend on the data alone. At most
+    most_shards + 1 cuts come to the driver; a key heavier than two shards is dealt to several.
+    """
+    parts = max(1, int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = scratch.keep(weights.repartitionByRange(parts, "page_id", "sha").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = {r["part"]: r["w"] for r in ranged.groupBy("part").agg(F.sum("weight").alias("w")).collect()}  # one row a partition
+    total = sum(sums.values())
+    size = max(shard_bytes, -(-total // most_shards))
+    before, at = {}, 0
+    for k in sorted(sums):
+        before[k], at = at, at + sums[k]
+    if not sums:
+        return 1, []
+    w = Window.partitionBy("part").orderBy("page_id", "sha")
+    start = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")) + F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")
+    cut = ranged.withColumn("shard", (start / size).cast("long"))
+    cut = cut.withColumns({"previous": F.lag("shard").over(w), "pieces": F.greatest(F.lit(1), (F.col("weight") / size).cast("long"))})
+    rows = cut.filter("previous is null or previous <> shard or pieces > 1").select("page_id", "sha", "shard", "pieces").collect()
+    found = sorted(((r["page_id"], bytes(r["sha"]), r["shard"], r["pieces"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return -(-total // size) or 1, found
+
+
+def shards_of(bounds: list[tuple]):
+    """A function from arrays of (page_id, sha) to the shards of each key: the last cut at or before it decides."""
+    keys = [(r[0] is not None, r[0] or 0, r[1]) for r in bounds]
+
+    def find(page_id: int | None, sha: bytes) -> list[int]:
+        key = (page_id is not None, page_id or 0, sha)
+        i = bisect.bisect_right(keys, key) - 1
+        if i < 0:
+            return [0]
+        if bounds[i][3] > 1:  # a heavy key has its shards for itself; what follows it up to the next cut joins the last
+            own = list(range(bounds[i][2], bounds[i][2] + bounds[i][3]))
+            return own if keys[i] == key else own[-1:]
+        return [bounds[i][2]]
+
+    return find
+
+
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> None:
     """Write pages as an archive below folder (a URI that all executors reach) and commit its manifest."""
     spark = pages.sparkSession
     p = base_columns(pages, page_id=id_col, url=url_col, html=html_col).withColumns({"html": F.encode(F.coalesce("html", F.lit("")), "UTF-8"), "page_id": F.col("page_id").cast("long")})
     p = p.withColumn("sha", F.unhex(F.sha1("html")))
-    last = p.filter(F.octet_length("html") >= least_bytes).groupBy(F.xxhash64("sha").alias("h"), "sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).filter("copies > 1")
-    lo, hi, total = p.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("html"))).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // CELLS))
-    cell = F.coalesce(((F.col("page_id") - (lo or 0)) / width).cast("long"), F.lit(0))
-    load = {r["cell"]: r["n"] for r in p.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html")).alias("n")).collect()}  # at most CELLS rows
-    shards = max(1, min(CELLS, -(-(total or 0) // shard_bytes)))
-    starts, seen = [], 0
-    for c in sorted(load):
-        if seen >= len(starts) * (total or 0) / shards:
-            starts.append(c)
-        seen += load[c]
-    sizes = spark.createDataFrame([(c, sum(s <= c for s in starts) - 1) for c in sorted(load)] or [(0, 0)], "cell bigint, shard int")
-    ready = p.join(last.select("sha", "largest"), "sha", "left").withColumn("cell", cell).join(F.broadcast(sizes), "cell")  # at most CELLS rows
-    ready = ready.select("shard", "page_id", "url", "html", F.when(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
-    ready = ready.repartitionByRange(len(starts) or 1, "shard").sortWithinPartitions("shard", "page_id", "url")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, writer, done = str(TaskContext.get().taskAttemptId()), None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                for r in batch.slice(at, 1_000).to_pylist():
-                    if writer is None or writer.shard != r["shard"]:
-                        done += [writer.close()] if writer else []
-                        writer = ShardWriter(folder, r["shard"], roll_bytes, attempt)
-                    done += writer.add(record(r["page_id"], r["url"], r["html"], r["refers_to"], r["refers_to"] is not None))
-        done += [writer.close()] if writer else []
-        yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())]))
+    with Scratch(spark) as scratch:
+        narrow = p.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes"))
+        keys = scratch.keep(narrow.groupBy("page_id", "sha").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")), "keys")
+        n_shards, bounds = shard_bounds(keys.select("page_id", "sha", (F.col("n") * (F.col("bytes") + RECORD_BYTES)).alias("weight")), shard_bytes, MOST_SHARDS, scratch)
+        shared = spark.sparkContext.broadcast(bounds)  # at most MOST_SHARDS + 1 cuts and the heavy keys among them
+
+        @F.pandas_udf("array<int>")
+        def shards(page_id: pd.Series, sha: pd.Series) -> pd.Series:
+            find = shards_of(shared.value)
+            return pd.Series([find(None if pd.isna(i) else int(i), bytes(h)) for i, h in zip(page_id, sha, strict=True)], dtype=object)
+
+        # the response of each repeated payload; narrow rows, one a key, whose response is another record
+        last = keys.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("largest"), F.sum("n").alias("copies")).filter("copies > 1")
+        others = keys.select("page_id", "sha").join(last.select("sha", "largest"), "sha").filter("largest is not null and not page_id <=> largest")
+        id_text = F.col("page_id").cast("string")  # a long column with nulls would reach Python as doubles
+        mark = others.withColumn("shard", F.explode(shards(id_text, "sha"))).select("shard", "page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), F.col("largest").alias("refers_to"))
+        of = shards(id_text, F.col("sha"))
+        spread = p.withColumn("shards", of).withColumn("shard", F.element_at("shards", (F.pmod(F.monotonically_increasing_id(), F.size("shards")) + 1).cast("int")))
+        record_rows = spread.select("shard", "page_id", "sha", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+        # the one shuffle of payloads: a task for each shard, and in it the mark of a key before its records
+        ready = mark.unionByName(record_rows).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            attempt, writer, done, marked, refers_to = str(TaskContext.get().taskAttemptId()), None, [], None, None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    for r in batch.slice(at, 200).to_pylist():
+                        if r["kind"] == 0:
+                            marked, refers_to = (r["page_id"], r["sha"]), r["refers_to"]
+                            continue
+                        if writer is None or writer.shard != r["shard"]:
+                            done += [writer.close()] if writer else []
+                            writer = ShardWriter(folder, r["shard"], roll_bytes, attempt)
+                        to = refers_to if marked == (r["page_id"], r["sha"]) else None
+                        done += writer.add(record(r["page_id"], r["url"], r["html"], to, to is not None))
+            done += [writer.close()] if writer else []
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())]))
 
-    fs, base = _filesystem(folder)
-    fs.create_dir(base)
-    ready.mapInArrow(write, MANIFEST).write.json(f"{folder}/_manifest-temporary")
-    fs.move(f"{base}/_manifest-temporary", f"{base}/manifest")
+        fs, base = _filesystem(folder)
+        fs.create_dir(base)
+        ready.mapInArrow(write, MANIFEST).write.json(f"{folder}/_manifest-temporary")
+        fs.move(f"{base}/_manifest-temporary", f"{base}/manifest")
 
 
 def parse(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,11 +257,15 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages to the shared folder and read the archive back, without the payloads."""
+    """Write pages to the shared folder and read the archive back, without the payloads; the archive is deleted."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_archive(pages, folder, least_bytes=least_bytes)
-    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with Scratch(spark) as scratch:
+        found = read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        found = scratch.release(scratch.keep(found, "records"))
+    remove(spark, folder)
+    return found
 
 
 ORACLE_SQL = r"""
