@@ -14,7 +14,6 @@ alike. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
@@ -25,28 +24,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import base_columns
-from .subwords import ChunkTable, small_batches
+from .shared import base_columns, worker_table
+from .subwords import PIECES, ChunkTable, byte_letters, small_batches
 
-# fixed values: end-of-word mark and pre-tokenisation of the word vocabulary
+# fixed value: end-of-word mark of the word vocabulary
 END = "</w>"
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def byte_letters() -> dict[int, str]:
-    """The usual printable letter for each byte: printable Latin-1 stands for itself, others go from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    out = {b: chr(b) for b in plain}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(plain))
-    return out
+#: Bytes of the remembered pieces, with their ids, about.
+PIECE_BYTES = 32_000_000
 
 
 class PrefixEncoder:
     """Encodes one word (bytes) at a time. Symbols are characters: byte b is chr(1 + b), at the word's end chr(301 + b)."""
 
-    def __init__(self, path: str, pair_cache: int = 1_000_000):
+    def __init__(self, path: str, pair_cache: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -141,15 +133,18 @@ class Codec:
         self.mark = "<|"
         self.inner = {b: chr(1 + b) for b in range(256)}
         self.pieces: dict[str, list[int]] = {}
+        self.piece_bytes = 0
         self.names = [self.encoder.tokens.get(i, "") for i in range(max(self.encoder.tokens) + 1)]
         self.decimals = [str(i) for i in range(len(self.names))]
 
     def piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= 200_000:
-                self.pieces.clear()
             raw = piece.encode("utf-8")
+            if self.piece_bytes > PIECE_BYTES:
+                self.pieces.clear()
+                self.piece_bytes = 0
+            self.piece_bytes += 200 + 10 * len(raw)
             symbols = raw[:-1].decode("latin-1").translate(self.inner) + chr(301 + raw[-1])
             got = self.pieces[piece] = self.encoder.word(symbols)
         return got
@@ -182,11 +177,14 @@ class Codec:
         return " ".join([names[i] for i in ids])
 
 
-@functools.cache
 def codec(path: str) -> tuple[Codec, ChunkTable]:
     """One per worker process."""
-    c = Codec(path)
-    return c, ChunkTable(lambda new: [c.chunk(x.decode("utf-8")) for x in new])
+
+    def make() -> tuple[Codec, ChunkTable]:
+        c = Codec(path)
+        return c, ChunkTable(lambda new: [c.chunk(x.decode("utf-8")) for x in new])
+
+    return worker_table(f"codec {path}", make)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -253,7 +253,7 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 
 def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """tasks (root, left, right, side, node, label): one Python call per (left, right)."""
-    rows = tasks.join(sets.select("node", "tokens"), "node")
+    rows = sets.select("node", "tokens").join(_maybe_broadcast(tasks), "node")
     return rows.groupBy("left", "right").applyInPandas(_verify(percent), "a bigint, b bigint")
 
 
@@ -303,8 +303,8 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, class_limits: tuple[
     lacking = lambda size: size - (size * percent + 99) // 100
     own = F.expr(f"n_shingles - (n_shingles * {percent} + 99) div 100")  # tokens that a partner may lack
     with Scratch(docs.sparkSession) as scratch:
-        # the share of the token space must show more tokens of its own than may be lacking: 2.5 times as many
-        table = scratch.keep(set_table(docs, n, max(1, int(40 / max(1, 100 - percent)))), "shingles")
+        # the share of the token space must show more tokens of its own than may be lacking: it holds 1.7 times as many
+        table = scratch.keep(set_table(docs, n, max(1, 60 // max(1, 100 - percent))), "shingles")
 
         # step 2: tokens that only one node has
         # (min and max over nodes: equal copies of one set don't make its tokens common)

@@ -2,21 +2,23 @@
 
 Texts are UTF-8 bytes here, and bytes.split() cuts at ASCII white space only. Neither normalisation nor
 pre-tokenisation of the word vocabulary looks across white space, so the ids of a text are the ids of its chunks in a
-row. Chunks recur, so each Python worker keeps a table from chunk to ids; a full table is emptied and filled again, so
-memory is bounded and results don't depend on it.
+row. Chunks recur, so each Python worker keeps a table from chunk to ids, bounded by the bytes of its chunks and ids; a
+full table is emptied and filled again, so results don't depend on it. It is a worker_table: a worker holds one.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import regex
 
-#: Chunks that one worker remembers; about 150 bytes each.
-TABLE_CHUNKS = 800_000
+from .shared import worker_table
+
+#: Bytes that one worker's table holds: about TABLE_ENTRY for each chunk, its text, and four for each id.
+TABLE_BYTES, TABLE_ENTRY = 72_000_000, 110
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -26,14 +28,16 @@ def chunks(text: bytes) -> list[bytes]:
 
 
 class ChunkTable:
-    """encode_many turns a list of chunks into id lists. At most about ``cap`` chunks are remembered."""
+    """encode_many turns a list of chunks into id lists. About ``cap`` bytes are remembered. digest: a 64-bit hash that
+    is kept for each chunk as well."""
 
-    def __init__(self, encode_many: Callable[[list[bytes]], Iterable[list[int]]], cap: int = TABLE_CHUNKS):
-        self.encode_many, self.cap = encode_many, cap
+    def __init__(self, encode_many: Callable[[list[bytes]], Iterable[list[int]]], cap: int = TABLE_BYTES, digest: Callable[[bytes], int] | None = None):
+        self.encode_many, self.cap, self.digest = encode_many, cap, digest
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.text_bytes, self.digests = 0, np.zeros(0, np.uint64)
         self.starts, self.lengths, self.flat, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, new: list[bytes]) -> None:
@@ -47,14 +51,19 @@ class ChunkTable:
         if n + len(new) > len(self.starts):
             grown = max(1 << 12, 2 * (n + len(new)))
             self.starts, self.lengths = (np.concatenate([x[:n], np.zeros(grown - n, np.int32)]) for x in (self.starts, self.lengths))
+        if self.digest:
+            if len(self.digests) < len(self.starts):
+                self.digests = np.concatenate([self.digests[:n], np.zeros(len(self.starts) - n, np.uint64)])
+            self.digests[n : n + len(new)] = np.fromiter(map(self.digest, new), np.uint64, len(new))
         self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(new)] = lengths
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
         self.used += len(ids)
+        self.text_bytes += sum(map(len, new))
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Table row of every word; call it once per small batch, as it may empty the table first."""
-        if len(self.index) > self.cap:
+        if TABLE_ENTRY * len(self.index) + self.text_bytes + 4 * self.used > self.cap:
             self.clear()
         got = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
         missing = np.flatnonzero(got < 0)
@@ -64,16 +73,25 @@ class ChunkTable:
             got[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int32, len(lost))
         return got
 
+    def known(self, chunk: bytes) -> list[int] | None:
+        """Ids of a chunk that the table holds."""
+        i = self.index.get(chunk)
+        return None if i is None else self.flat[self.starts[i] : self.starts[i] + self.lengths[i]].tolist()
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start (one more entry than texts)."""
         split = [chunks(t) for t in texts]
-        rows = self.rows(list(itertools.chain.from_iterable(split)))
+        ids, ends = self.ids_of_rows(self.rows(list(itertools.chain.from_iterable(split))))
+        return ids, ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
+
+    def ids_of_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of table rows in a row, and where each row's ids start (one more entry than rows)."""
         lengths = self.lengths[rows]
         ends = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(lengths, out=ends[1:])
         places = np.arange(ends[-1], dtype=np.int32)
         places += np.repeat(self.starts[rows] - ends[:-1].astype(np.int32), lengths)
-        return self.flat[places], ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
+        return self.flat[places], ends
 
 
 def small_batches(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -88,32 +106,59 @@ def small_batches(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[
         yield start, len(texts)
 
 
-@functools.cache
-def library_table(path: str) -> ChunkTable:
-    """Chunks encoded by the tokenizers library, one table per worker process.
+#: Chunks whose normal form and pieces are plain: printable characters below U+0180, which no composition changes.
+PLAIN = regex.compile("[!-~¡-¬®-ſ]+")
+# fixed values: pre-tokenisation of the word vocabulary
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    New chunks go to the library as one text with a special token between them: its id marks the borders in the
-    result, and special tokens are cut out before normalisation, so nothing is joined across them.
-    """
+
+def byte_letters() -> dict[int, str]:
+    """The usual printable letter for each byte: printable Latin-1 stands for itself, others go from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    out = {b: chr(b) for b in plain}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(plain))
+    return out
+
+
+def _library_table(path: str, digest: Callable[[bytes], int] | None = None) -> ChunkTable:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    mark, mark_id = next((x.content, i) for i, x in t.get_added_tokens_decoder().items() if x.special)
-    specials = [x.content for x in t.get_added_tokens_decoder().values()]
+    model, letters = t.model, byte_letters()
+
+    def cut(text: str) -> list[int]:
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return t.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        pieces = [text] if text.isalpha() else PIECES.findall(text)
+        if not text.isascii():
+            pieces = [x.encode("utf-8").decode("latin-1").translate(letters) for x in pieces]
+        return [token.id for x in pieces for token in model.tokenize(x)]
+
+    stops = {x: cut(x) for x in ",.;:!?"}
 
     def encode_many(new: list[bytes]) -> Iterator[list[int]]:
-        for k in range(0, len(new), 2_000):
-            group = [x.decode("utf-8") for x in new[k : k + 2_000]]
-            joined = mark.join(group)
-            if joined.count(mark[:2]) > len(group) - 1 and any(s in x for x in group for s in specials):
-                yield from (e.ids for e in t.encode_batch_fast(group, add_special_tokens=False))
-                continue
-            ids = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark_id)
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            yield from (ids[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-
-    return ChunkTable(encode_many)
+        for raw in new:
+            text = raw.decode("utf-8")
+            word = text[:-1]
+            if word.isalpha() and text[-1] in stops:  # letters and one mark: two pieces, the first often known
+                yield (table.known(raw[:-1]) or cut(word)) + stops[text[-1]]
+            else:
+                yield cut(text)
+
+    table = ChunkTable(encode_many, digest=digest)
+    return table
+
+
+def library_table(path: str, digest: Callable[[bytes], int] | None = None) -> ChunkTable:
+    """Chunks encoded by the tokenizers library, one table per worker process.
+
+    Plain chunks are lower-cased and cut into pieces here and go to the library's BPE model; its normaliser and its
+    pre-tokeniser, which take most of its time on single words, see all others.
+    """
+    return worker_table(f"library ids {path} {digest}", lambda: _library_table(path, digest))
