@@ -154,6 +154,23 @@ def test_neighbours_odd_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_many_cells_with_repeated_rows(spark):
+    """Clusters, a third of all rows equal, repeated query rows; cells of a few rows, so that several are searched."""
+    g = np.random.default_rng(3)
+    centres = g.standard_normal((12, 16)) * 4
+    rows = [(i, (centres[i % 12] + g.standard_normal(16)).tolist()) for i in range(1, 1200)]
+    rows += [(2000 + i, [1.0] * 16) for i in range(600)] + [(0, centres[0].tolist())] * 3 + [(100, [1.0] * 16)] * 15
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = exact_neighbours(rows)
+    got = defaultdict(list)
+    for r in ann.nearest(df, parameters=ann.AnnParameters(block_rows=64)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    got[100] = got[100][:10]  # rows of id 100 hold two vectors, that is two queries
+    assert set(got) == set(want) and all(len(got[q]) == 10 for q in want if q != 100)
+    hits = sum((Counter(j for _, j in got[q]) & Counter(j for _, j in want[q])).total() for q in want if q != 100)
+    assert hits >= 0.9 * 10 * (len(want) - 1)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------
 
 
@@ -260,6 +277,60 @@ def test_random_strings_are_found_and_structured_ones_are_not(spark):
     assert sum("random" in got[100 + k] for k in range(50)) <= 5
 
 
+def brute_random_spans(texts, level=0.05):
+    """The battery and the step-up rule, candidate by candidate in plain Python."""
+    logistic = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.070566 * z**3)))
+    tests, found = {}, []
+    for i, t in texts:
+        base = base_secrets(t)
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            if not any(a < m.end() and m.start() < b for a, _, _, b in base):
+                found.append((i, m.start(), m.end(), m.group()))
+    for v in {f[3] for f in found}:
+        enc = next((n for n, a in secret_scan.ALPHABETS.items() if set(v) <= set(a)), None)
+        if enc is None or sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
+            continue
+        letters = secret_scan.ALPHABETS[enc]
+        x, n, k = [letters.index(c) + 1 for c in v], len(v), len(letters)
+        chi = (sum(c * c for c in Counter(x).values()) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+        high = [c > k / 2 for c in x]
+        h, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+        e = 2 * h * (n - h) / n + 1
+        r = abs(runs - e) / math.sqrt((e - 1) * (e - 2) / (n - 1)) if 0 < h < n and e > 2 else math.sqrt(n)
+        mean = sum(x) / n
+        var = sum((c - mean) ** 2 for c in x)
+        cov = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))
+        s = abs(cov / var) * math.sqrt(n) if var > 0 else math.sqrt(n)
+        pv = 3 * min(logistic(chi), 2 * logistic(r), 2 * logistic(s))
+        tests[v] = (f"{enc}:{int(math.log2(n))}", min(400, int(-math.log10(max(min(pv, 1.0), 1e-300)) * 20)))
+    keep = set()
+    for stratum in {s for s, _ in tests.values()}:
+        bins = [b for s, b in tests.values() if s == stratum]
+        cut = min((b for b in bins if 10 ** (-b / 20) * len(bins) <= level * sum(c >= b for c in bins)), default=401)
+        keep |= {v for v, (s, b) in tests.items() if s == stratum and b < cut}
+    return {(i, a, b) for i, a, b, v in found if v in keep}
+
+
+def test_random_spans_equal_brute_force(spark, docs):
+    g = np.random.default_rng(2)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+    rows = [(10_000 + k, f"a {''.join(g.choice(letters[: [62, 64, 66][k % 3]], 20 + k))} /my-app/hooks/Xy{k} z") for k in range(60)]
+    rows += [(20_000 + k, "UserProfileServiceFactory" * (1 + k % 3) + f"{k} getUserAccountById2WithDefaults") for k in range(60)]
+    texts = texts_of(docs) + rows
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = set()
+    for r in secret_scan.report(df).collect():
+        got |= {(r["doc_id"], int(a), int(b)) for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "random"}
+    assert got == brute_random_spans(texts)
+
+
+def test_secret_spans_of_long_texts(spark):
+    text = "zq ab " * 16_000 + "token=abcdef12 " * 8_000
+    got = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    want = base_secrets(text)
+    assert got["n_assign"] == 8_000 and got["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+
+
 def test_redaction(odd):
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(odd).collect()}
     assert got[None] == "[SECRET] [SECRET] [SECRET]" and got[1] is None and got[4] == ODD[3][1]
@@ -329,6 +400,24 @@ def test_html_blocks_and_labels(spark, data):
     assert right >= 0.97 * total
 
 
+def test_html_long_and_deep_pages(spark):
+    """Labels by hand; a page of many blocks, one of many nested elements, repeated rows."""
+    one = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a>News</a></li></ul></nav><article><h1>Title {k}</h1><p>The river {k} rose in the night and the town was warned.</p></article><footer>Imprint {k}</footer></body></html>"
+    rows = [(k, "u", one.format(k=k)) for k in range(150)]
+    many = "<body><nav><a>Home</a></nav><article>" + "".join(f"<p>The town {k} was warned of the river in the night.</p>" for k in range(20_000)) + "</article><footer>Imprint</footer></body>"
+    rows += [(1000, "u", many), (1001, "u", "<div>" * 4_000 + "deep" + "</div>" * 4_000), (1002, "u", "<span>" * 4_000 + "<p>x"), (5, "u", one.format(k=5))]
+    got = defaultdict(list)
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        got[r["page_id"]].append(r["text"])
+    assert len(got[5]) == 2 and got[5][0] == got[5][1]
+    right = sum(got[k][0] == f"Title {k}\nThe river {k} rose in the night and the town was warned." for k in range(150))
+    assert right >= 148
+    lines = got[1000][0].split("\n")
+    assert len(lines) >= 19_900 and "Imprint" not in lines
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_extract.extract(empty).count() == 0
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p", 1), (None, None, "text &lt; only", 1)], "page_id bigint, url string, html string, label int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()}
