@@ -1,7 +1,7 @@
 """Secret scan with a battery of randomness tests (native Spark expressions only).
 
-Base patterns (fixed): assignments of secrets, cloud access keys, long hexadecimal runs. Beyond them every maximal run
-of token characters that mixes letter cases or digits is a candidate. Its encoding (the smallest alphabet that holds
+Base patterns (fixed): assignments of secrets, cloud access keys, long hexadecimal runs. Beyond them every run of one
+of the two base64 alphabets that mixes letter cases or digits is a candidate. Its encoding (the smallest alphabet that holds
 it) is inferred, and three tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity of
 the characters, the number of runs above and below the middle of the alphabet, and the lag-one serial correlation of
 the character codes. Three times the least of the three p-values is the candidate's p.
@@ -28,12 +28,14 @@ from .shared import base_columns, materialise
 # fixed values: the base patterns; letters of the key words in either case, ASCII only
 _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = rf"({_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+# runs of these two are maximal and fail by length only, so the least length can stand in the pattern
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+# a run of one of the two base64 alphabets: where both kinds of marks mix, the leftmost such run of its own length
+CANDIDATE = "[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,}"
 #: Cheap test before the costly one: nothing of a kind without this.
-HINTS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": CANDIDATE}
+HINTS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
 
 # fixed values: alphabets of the inferred encodings, smallest first
 ALPHABETS = {
@@ -60,17 +62,16 @@ class SecretParameters:
 
 
 def _spans(text: Column, pattern: str, kind: int, hint: str, keep=None) -> Column:
-    """array<struct<s, e, k, v>> of the leftmost non-overlapping matches; start by adding up pieces and matches."""
+    """array<struct<s, e, k, v>> of the leftmost non-overlapping matches.
+
+    Ends are prefix sums of the lengths of gaps and matches, by doubling: a number of passes over the matches that is
+    logarithmic in their number, where appending to an array match by match would be quadratic.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    total = F.aggregate(
-        F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int,v:string>>").alias("out")),
-        lambda a, x: F.when(x["m"].isNull(), a).otherwise(
-            F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["m"])).alias("e"), F.lit(kind).alias("k"), x["m"].alias("v")))).alias("out"))
-        ),
-        lambda a: a["out"],
-    )
+    lengths = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, b: F.length(b) + F.length(m))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(found) + 1.0)).cast("int"))
+    ends = F.aggregate(rounds, lengths, lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+    total = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), F.lit(kind).alias("k"), m.alias("v")))
     if keep is not None:
         total = F.filter(total, keep)
     return F.when(text.rlike(hint), total).otherwise(F.array().cast("array<struct<s:int,e:int,k:int,v:string>>"))
@@ -80,8 +81,8 @@ def base_spans(text: Column) -> dict[str, Column]:
     value = lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 2)) >= 6
     return {
         "assign": _spans(text, ASSIGN, 0, HINTS["assign"], value),
-        "access": _spans(text, ACCESS, 1, HINTS["access"], lambda x: x["e"] - x["s"] >= 20),
-        "hex": _spans(text, HEX, 2, HINTS["hex"], lambda x: x["e"] - x["s"] >= 24),
+        "access": _spans(text, ACCESS, 1, HINTS["access"]),
+        "hex": _spans(text, HEX, 2, HINTS["hex"]),
     }
 
 
