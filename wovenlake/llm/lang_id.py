@@ -1,10 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each white-space chunk (in pieces of at most ``SEGMENT`` bytes, so every byte of a text is read)
-forwards and backwards and labels every position; a text's probabilities are the mean over all its positions. It is
-trained in numpy by backpropagation through time on a bounded, stratified sample of labelled rows (about
-``docs_per_language`` texts a language). As chunks recur, each worker keeps the summed position labels of chunks it
-has seen in a bounded table; the result is the same as reading every chunk again.
+The network reads the bytes of a text forwards and backwards, words and the space between them, and labels every
+position; a text's probabilities are the mean over all its positions. Long texts are read in windows of ``WINDOW``
+bytes; each has ``MARGIN`` bytes of the text on both sides as context that isn't labelled, so every position is
+labelled exactly once and sees the words around it. It is trained in numpy by backpropagation through time on pieces of
+a bounded, stratified sample of labelled rows (about ``docs_per_language`` texts a language).
 
 Only text decides a prediction. Defined results: a null text or one without a letter is ``und`` with score 0; so is
 every text if no labelled row can be learned from. Ties go to the language first in order. Repeated rows get equal
@@ -13,7 +13,6 @@ results. Rows with a null id may be learned from (they aren't held out). An empt
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 from .shared import base_columns
 from .subwords import small_batches
 
-SEGMENT = 32
-#: Chunks that one worker remembers.
-TABLE_CHUNKS = 600_000
+WINDOW, MARGIN = 224, 16
+#: Length of a training piece; windows that are read together.
+PIECE, BATCH_WINDOWS = 64, 1_024
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -40,8 +39,8 @@ class LangParameters:
     bytes_per_doc: int = 8_000
     hidden: int = 12
     embed: int = 8
-    steps: int = 500
-    batch: int = 160
+    steps: int = 300
+    batch: int = 96
     rate: float = 0.02
     seed: int = 11
 
@@ -65,7 +64,7 @@ class ByteNetwork:
         g = np.random.default_rng(p.seed)
         h = p.hidden
         f = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.languages, self.h, self.table = languages, h, None
+        self.languages, self.h = languages, h
         self.w = {"E": (g.standard_normal((257, p.embed)) * 0.5).astype(np.float32), "O": f(2 * h, len(languages)), "o": np.zeros(len(languages), np.float32)}
         for d in "fb":
             self.w |= {f"I{d}": f(p.embed, 3 * h), f"W{d}": f(h, 3 * h), f"c{d}": np.zeros(3 * h, np.float32)}
@@ -101,15 +100,71 @@ class ByteNetwork:
         y /= y.sum(2, keepdims=True)
         return y, both, live, back, xb, kf, kb
 
-    def label_sums(self, segments: list[bytes]) -> np.ndarray:
-        """Sum over positions of the language probabilities of each segment."""
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        out = np.zeros((len(segments), len(self.languages)), np.float32)
-        for a in range(0, len(order), 2048):
-            pick = order[a : a + 2048]
-            x, n = to_matrix([segments[i] for i in pick])
-            y, _, live, *_ = self._both(x, n)
-            out[pick] = (y * live[..., None]).sum(1)
+    def _read(self, d: str, x: np.ndarray) -> np.ndarray:
+        """x (T, n) bytes in reading order; the direction's part of the logits (T, languages, n). What follows the end
+        of a row comes after all of it has been read, so it needs no mask."""
+        w, h = self.w, self.h
+        # states lie in columns, so that every step works on whole rows; signs and the two of tanh(v) =
+        # 2 / (1 + exp(-2 v)) - 1 are taken into the weights
+        scale = np.repeat(np.array([-1, -1, -2], np.float32), h)
+        table = np.ascontiguousarray(((w["E"] @ w[f"I{d}"] + w[f"c{d}"]) * scale).T)
+        recurrent = np.ascontiguousarray((w[f"W{d}"] * scale).T)
+        label = np.ascontiguousarray((w["O"][:h] if d == "f" else w["O"][h:]).T)
+        s, out = np.zeros((h, x.shape[1]), np.float32), np.empty((len(x), len(label), x.shape[1]), np.float32)
+        a, u = np.empty((3 * h, x.shape[1]), np.float32), np.empty((3 * h, x.shape[1]), np.float32)
+        gates, new = u[: 2 * h], u[2 * h :]
+        for i in range(len(x)):
+            np.take(table, x[i], 1, out=a, mode="clip")
+            np.matmul(recurrent, s, out=u)
+            gates += a[: 2 * h]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new *= gates[h:]
+            new += a[2 * h :]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            s -= new
+            s *= gates[:h]
+            s += new
+            np.matmul(label, s, out=out[i])
+        return out
+
+    def label_sums(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Sum of the language probabilities of the positions from..to of each window (bytes, from, to)."""
+        order = sorted(range(len(windows)), key=lambda i: len(windows[i][0]))
+        out = np.zeros((len(windows), len(self.languages)), np.float32)
+        for a in range(0, len(order), BATCH_WINDOWS):
+            pick = order[a : a + BATCH_WINDOWS]
+            x, n = to_matrix([windows[i][0] for i in pick])
+            place = np.arange(x.shape[1])
+            back = np.where(place < n[:, None], n[:, None] - 1 - place, place)  # its own inverse
+            logits = self._read("b", np.ascontiguousarray(np.take_along_axis(x, back, 1).T))
+            logits = np.take_along_axis(logits, back.T[:, None, :], 0)
+            logits += self._read("f", np.ascontiguousarray(x.T))
+            logits += self.w["o"][:, None]
+            np.exp(logits, out=logits)  # bounded by the width of the states
+            low, high = (np.array([windows[i][k] for i in pick]) for k in (1, 2))
+            logits *= (((place[:, None] >= low) & (place[:, None] < high)) / logits.sum(1))[:, None, :].astype(np.float32)
+            out[pick] = logits.sum(0).T
+        return out
+
+    def text_means(self, texts: list[bytes]) -> np.ndarray:
+        """Mean position probabilities of each text; zeros for an empty one."""
+        windows, owner = [], []
+        for k, t in enumerate(texts):
+            t = t.lower()
+            for at in range(0, len(t), WINDOW):
+                first, end = max(0, at - MARGIN), min(len(t), at + WINDOW)
+                windows.append((t[first : end + MARGIN], at - first, end - first))
+                owner.append(k)
+        out = np.zeros((len(texts), len(self.languages)))
+        if windows:
+            np.add.at(out, np.array(owner), self.label_sums(windows))
+            total = out.sum(1, keepdims=True)
+            np.divide(out, total, out=out, where=total > 0)
         return out
 
     def train(self, segments: list[list[bytes]], p: LangParameters) -> None:
@@ -150,47 +205,6 @@ class ByteNetwork:
                 w[k] = (w[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
-class LabelTable:
-    """Summed position labels of chunks, computed once per chunk while the table has room."""
-
-    def __init__(self, network: ByteNetwork):
-        self.network = network
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.sums = np.zeros((1 << 12, len(self.network.languages)), np.float32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        pieces = [[c[i : i + SEGMENT] for i in range(0, len(c), SEGMENT)] for c in new]
-        got = self.network.label_sums(list(itertools.chain.from_iterable(pieces)))
-        got = np.add.reduceat(got, np.cumsum([0] + [len(x) for x in pieces[:-1]]))
-        n = len(self.index)
-        while n + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[n : n + len(new)] = got
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """Mean position probabilities of each text; zeros for a text without chunks."""
-        if len(self.index) > TABLE_CHUNKS:
-            self.clear()
-        split = [t.lower().split() for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        rows = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            lost = [words[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(lost)))
-            rows[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int32, len(lost))
-        out = np.zeros((len(texts), len(self.network.languages)), np.float64)
-        full = [i for i, s in enumerate(split) if s]
-        if full:
-            out[full] = np.add.reduceat(self.sums[rows], np.cumsum([0] + [len(split[i]) for i in full[:-1]]), dtype=np.float64)
-            out[full] /= out[full].sum(1, keepdims=True)
-        return out
-
-
 def has_letter(text: bytes) -> bool:
     return bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8"))))
 
@@ -210,7 +224,7 @@ def training_sample(docs: DataFrame, folds: int, fold: int, p: LangParameters) -
 
 
 def fit(sample: dict[str, list[bytes]], p: LangParameters) -> ByteNetwork | None:
-    pieces = {k: [c[i : i + SEGMENT] for t in v for c in t.lower().split() for i in range(0, len(c), SEGMENT)] for k, v in sorted(sample.items())}
+    pieces = {k: [t[i : i + PIECE].lower() for t in v for i in range(0, len(t), PIECE)] for k, v in sorted(sample.items())}
     pieces = {k: v for k, v in pieces.items() if v}
     if not pieces:
         return None
@@ -233,17 +247,14 @@ def identify(docs: DataFrame, folds: int = 3, fold: int = 1, parameters: LangPar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        if net and net.table is None:
-            net.table = LabelTable(net)  # kept by the worker from task to task
-        table = net.table if net else None
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             pred, score = [], []
             for a, b in small_batches(texts):
                 letters = [has_letter(t) for t in texts[a:b]]
-                mean = table.texts(texts[a:b]) if table else np.zeros((b - a, 1))
+                mean = net.text_means(texts[a:b]) if net else np.zeros((b - a, 1))
                 best, top = mean.argmax(1).tolist(), mean.max(1).tolist()
-                ok = [x and bool(table) for x in letters]
+                ok = [x and net is not None for x in letters]
                 pred += [net.languages[k] if x else "und" for k, x in zip(best, ok, strict=True)]
                 score += [min(1.0, s) if x else 0.0 for s, x in zip(top, ok, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
