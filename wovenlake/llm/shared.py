@@ -52,7 +52,7 @@ def remove(spark: SparkSession, path: str) -> None:
 _scopes: list[list[str]] = []
 
 
-def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, release: bool = False, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
     release: also have the driver drop its references to finished shuffles, so that executors delete their files
@@ -60,7 +60,7 @@ def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if release:
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
@@ -78,8 +78,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
-        out = materialise(df, name, release)
+    def keep(self, df: DataFrame, name: str, release: bool = False, compression: str = "snappy") -> DataFrame:
+        out = materialise(df, name, release, compression)
         self.paths[id(out)] = (out, out._scratch_path)
         return out
 
