@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from wovenlake.errors import ConstraintViolation
+from wovenlake.operators import graph_algorithms as graph
+from wovenlake.operators import mutations
 
 CHAIN = [7, *range(100, 117), 11]
 EDGES = [*zip(CHAIN, CHAIN[1:], strict=False), (11, 7), (11, 200), (200, 201), (300, 301), (301, 302), (300, 302)]
@@ -63,3 +67,13 @@ def test_whole_communities(spark, folder):
     degree = Counter(label[v] for e in EDGES for v in e)
     want = sum(inside[c] / m - (degree[c] / (2 * m)) ** 2 for c in degree)
     assert rows(spark, folder, "community_modularity_whole", "modularity")[0][0] == pytest.approx(want)
+
+
+def test_caps_are_errors_not_partial_results(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(7)], "src bigint, dst bigint, weight double")
+    for f in (lambda: graph.weighted_distances(chain, 0, most_rounds=3), lambda: graph.topological_levels(chain, most_rounds=3), lambda: graph.components_strong(chain, most_rounds=2)):
+        with pytest.raises(ConstraintViolation):
+            f().collect()
+    assert graph.weighted_distances(chain, 0).count() == 8 and graph.topological_levels(chain).filter("not cyclic").count() == 8
+    with pytest.raises(ConstraintViolation):
+        mutations.cascade(chain.select(F.col("dst").alias("child"), F.col("src").alias("parent")), spark.range(1).select(F.col("id").alias("node")), most_rounds=3).collect()

@@ -7,6 +7,9 @@ before the shuffle and its joins can be split by Spark, as no step collects the
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +23,26 @@ def _positive(**limits: int) -> None:
             raise InvalidRequest("INVALID_GRAPH_REQUEST", f"{name} must be above 0")
 
 
+def _rounds(most: int | None, first: int = 0) -> Iterator[int]:
+    """Numbers of the rounds of a loop that ends by itself; an error, not a partial result, beyond ``most`` of them."""
+    yield from itertools.count(first) if most is None else range(first, first + most)
+    raise ConstraintViolation("GRAPH_RESULT_INCOMPLETE", "maximumIterations")
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
 
 
-def reachable(edges: DataFrame, source: object, most_depth: int = 50, target: object | None = None) -> DataFrame:
-    """(vertex, distance, parent): breadth first from source; parent is the smallest of the last level."""
-    _positive(maximumDepth=most_depth)
+def reachable(edges: DataFrame, source: object, most_depth: int | None = None, target: object | None = None) -> DataFrame:
+    """(vertex, distance, parent): breadth first from source; parent is the smallest of the last level. most_depth
+    asks for vertices up to that distance only; without it all are found."""
+    _positive(maximumDepth=1 if most_depth is None else most_depth)
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     step = edges.select("src", "dst").distinct()
     level = spark.range(1).select(F.lit(source).cast(kind).alias("vertex"), F.lit(0).alias("distance"), F.lit(None).cast(kind).alias("parent"))
     seen = level = written(level, "bfs")
-    for k in range(1, most_depth + 1):
+    for k in itertools.count(1) if most_depth is None else range(1, most_depth + 1):
         found = level.join(step, F.col("vertex") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
         fresh = found.join(seen, F.col("dst") == F.col("vertex"), "left_anti").select(F.col("dst").alias("vertex"), F.lit(k).alias("distance"), "parent")
         level = written(fresh, "bfs")
@@ -57,11 +67,11 @@ def trace(found: DataFrame, target: object, distance: str = "distance") -> DataF
     return found.sparkSession.createDataFrame(rows, f"position int, vertex {kind}, distance double")
 
 
-def shortest_path(edges: DataFrame, source: object, target: object, most_depth: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, source: object, target: object, most_depth: int | None = None) -> DataFrame:
     return trace(reachable(edges, source, most_depth, target), target)
 
 
-def weighted_distances(edges: DataFrame, source: object, most_rounds: int = 100, most_weight: float | None = None) -> DataFrame:
+def weighted_distances(edges: DataFrame, source: object, most_rounds: int | None = None, most_weight: float | None = None) -> DataFrame:
     """(vertex, distance, parent): relaxation of the vertices that became nearer, until none does."""
     bad = edges.filter("weight is null or isnan(weight) or abs(weight) = double('infinity') or weight < 0")
     if not bad.isEmpty():
@@ -69,7 +79,7 @@ def weighted_distances(edges: DataFrame, source: object, most_rounds: int = 100,
     spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
     step = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     active = best = written(spark.range(1).select(F.lit(source).cast(kind).alias("vertex"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("parent")), "relax")
-    for _ in range(most_rounds):
+    for _ in _rounds(most_rounds):
         offer = active.join(step, F.col("vertex") == F.col("src")).select(F.col("dst").alias("v"), (F.col("distance") + F.col("weight")).alias("d"), F.col("src").alias("u"))
         if most_weight is not None:
             offer = offer.filter(F.col("d") <= most_weight)
@@ -161,20 +171,19 @@ def cycles(edges: DataFrame, most_length: int = 4) -> DataFrame:
     return out
 
 
-def _spread_minimum(edges: DataFrame, start: DataFrame, most_rounds: int) -> DataFrame:
+def _spread_minimum(edges: DataFrame, start: DataFrame, most_rounds: int | None) -> DataFrame:
     """(vertex, low): the smallest start value of any vertex from which a path leads to this one."""
     low = start
-    for _ in range(most_rounds):
+    for _ in _rounds(most_rounds):
         offer = edges.join(low, F.col("src") == F.col("vertex")).groupBy("dst").agg(F.min("low").alias("offer"))
         seen = Observation()
         new = low.join(offer, F.col("vertex") == F.col("dst"), "left").select("vertex", F.least("low", F.coalesce("offer", "low")).alias("low"), (F.col("offer") < F.col("low")).cast("long").alias("moved")).observe(seen, F.sum("moved").alias("n"))
         low = written(new, "spread").drop("moved")
         if not seen.get["n"]:
             return low
-    raise ConstraintViolation("GRAPH_RESULT_INCOMPLETE", "maximumIterations")
 
 
-def components_strong(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def components_strong(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(vertex, component): strongly connected components, named by their smallest vertex.
 
     Colouring: each vertex takes the smallest vertex that reaches it as colour; those that reach back to their colour
@@ -184,8 +193,8 @@ def components_strong(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     todo_e = written(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
     rest = written(vertices(edges), "scc")
     done = None
-    for _ in range(most_rounds):
-        for _ in range(most_rounds):  # peel: no in-edge or no out-edge left
+    for _ in _rounds(most_rounds):
+        for _ in _rounds(most_rounds):  # peel: no in-edge or no out-edge left
             live = todo_e.select(F.col("src").alias("vertex")).distinct().join(todo_e.select(F.col("dst").alias("vertex")).distinct(), "vertex")
             kept = written(rest.join(live, "vertex", "left_semi"), "scc")
             gone = rest.join(kept, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"))
@@ -208,12 +217,12 @@ def components_strong(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return done if done is not None else rest.select("vertex", F.col("vertex").alias("component"))
 
 
-def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(vertex, level, cyclic): order by level, then vertex. Vertices behind a cycle have no level and are cyclic."""
     todo = written(edges.select("src", "dst").distinct(), "topo")
     rest = written(vertices(edges), "topo")
     done = None
-    for k in range(most_rounds):
+    for k in _rounds(most_rounds):
         ready = written(rest.join(todo, F.col("vertex") == F.col("dst"), "left_anti").select("vertex", F.lit(k).alias("level")), "topo")
         if ready.isEmpty():
             break

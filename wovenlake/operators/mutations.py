@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,10 +68,15 @@ def transfer(quads: DataFrame, source: str | None, target: str | None, how: str
     return rest.unionByName(moved).distinct()
 
 
-def cascade(references: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, depth): everything that refers to the roots (node), step by step, over references (child, parent)."""
+def cascade(references: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, depth): everything that refers to the roots (node), step by step, over references (child, parent).
+
+    Beyond most_rounds steps it is an error: rows that should be deleted would stay.
+    """
     level = seen = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "cascade")
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
+        if most_rounds is not None and k > most_rounds:
+            raise ConstraintViolation("RELATIONSHIP_CASCADE_INCOMPLETE", f"references are deeper than {most_rounds}")
         new = references.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
         level = written(new.withColumn("depth", F.lit(k)), "cascade")
         if level.isEmpty():

@@ -6,6 +6,7 @@ an anti join. Schema triples are few, but they aren't collected; Spark broadcast
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
@@ -101,13 +102,14 @@ def closure(triples: DataFrame, rules: Sequence = RDFS_RULES, most_rounds: int =
     raise ResourceLimit("ONTOLOGY_WORK_LIMIT", f"no fixed point within {most_rounds} rounds")
 
 
-def hierarchy(triples: DataFrame, root: str, predicate: str = SUBCLASS, ancestors: bool = True, most_depth: int = 64) -> DataFrame:
-    """(iri, depth) of all ancestors or descendants over direct links; the first depth wins."""
+def hierarchy(triples: DataFrame, root: str, predicate: str = SUBCLASS, ancestors: bool = True, most_depth: int | None = None) -> DataFrame:
+    """(iri, depth) of all ancestors or descendants over direct links; the first depth wins. most_depth asks for those
+    up to that depth only; without it all are found."""
     up, down = ("s", "o") if ancestors else ("o", "s")
     step = triples.filter((F.col("p") == predicate) & (F.col("s") != F.col("o"))).select(F.col(up).alias("at"), F.col(down).alias("next")).distinct()
     level = written(step.filter(F.col("at") == root).select(F.col("next").alias("iri"), F.lit(1).alias("depth")).distinct(), "hierarchy")
     seen = level
-    for k in range(2, most_depth + 1):
+    for k in itertools.count(2) if most_depth is None else range(2, most_depth + 1):
         new = level.join(step, F.col("iri") == F.col("at")).select(F.col("next").alias("iri")).distinct().filter(F.col("iri") != root)
         level = written(new.join(seen, "iri", "left_anti").withColumn("depth", F.lit(k)), "hierarchy")
         if level.isEmpty():
@@ -127,13 +129,16 @@ def import_closure(imports: DataFrame, documents: DataFrame, root: str) -> DataF
 
 
 def undeclared(triples: DataFrame) -> DataFrame:
-    """(code, message): classes and properties in use without a declaration, and terms declared more than once."""
+    """(code, message): classes and properties in use without a declaration, and terms declared both as a class and as
+    a property."""
     declared = triples.filter(F.col("p") == TYPE).select(F.col("s").alias("iri"), F.col("o").alias("kind"))
     classes = triples.filter(F.col("p") == SUBCLASS).select(F.explode(F.array("s", "o")).alias("iri")).unionByName(triples.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("o").alias("iri"))).distinct()
     properties = triples.filter(F.col("p") == SUBPROPERTY).select(F.explode(F.array("s", "o")).alias("iri")).unionByName(triples.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("s").alias("iri"))).distinct()
     missing = lambda used, kinds, code: used.join(declared.filter(F.col("kind").isin(*kinds)), "iri", "left_anti").select(F.lit(code).alias("code"), F.col("iri").alias("message"))
     kinds = {"class": (f"<{OWL}Class>",), "property": (f"<{OWL}ObjectProperty>", f"<{OWL}DatatypeProperty>")}
-    return missing(classes, kinds["class"], "UNDECLARED_CLASS").unionByName(missing(properties, kinds["property"], "UNDECLARED_PROPERTY"))
+    of = lambda k: declared.filter(F.col("kind").isin(*kinds[k])).select("iri").distinct()
+    both = of("class").join(of("property"), "iri").select(F.lit("DECLARED_TWICE").alias("code"), F.col("iri").alias("message"))
+    return missing(classes, kinds["class"], "UNDECLARED_CLASS").unionByName(missing(properties, kinds["property"], "UNDECLARED_PROPERTY")).unionByName(both)
 
 
 def project_entities(rows: DataFrame, individual_base: str, class_iri: str, id_col: str, properties: dict[str, str], graph: str | None = None) -> DataFrame:
