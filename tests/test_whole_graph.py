@@ -38,20 +38,20 @@ def rows(spark, folder, name, *columns):
 
 
 def test_whole_graph(spark, folder):
-    assert rows(spark, folder, "graph_edges_whole", "src", "dst", "weight") == sorted((a, b, 3.0) for a, b in EDGES)
+    assert rows(spark, folder, "graph_edges", "src", "dst", "weight") == sorted((a, b, 3.0) for a, b in EDGES)
     far = reach(7)
     assert max(far.values()) > 14
-    assert rows(spark, folder, "graph_distances_whole", "vertex", "distance") == sorted(far.items())
-    assert [v for _, v in rows(spark, folder, "shortest_path_whole", "position", "vertex")] == CHAIN
-    assert rows(spark, folder, "weighted_distances_whole", "vertex", "distance") == sorted((v, 3.0 * k) for v, k in far.items())
+    assert rows(spark, folder, "graph_distances", "vertex", "distance") == sorted(far.items())
+    assert [v for _, v in rows(spark, folder, "shortest_path", "position", "vertex")] == CHAIN
+    assert rows(spark, folder, "weighted_distances", "vertex", "distance") == sorted((v, 3.0 * k) for v, k in far.items())
 
 
 def test_whole_components_and_order(spark, folder):
     vertices = sorted({v for e in EDGES for v in e})
     to = {v: reach(v) for v in vertices}
-    assert rows(spark, folder, "scc_whole", "vertex", "component") == [(v, min(u for u in to[v] if v in to[u])) for v in vertices]
+    assert rows(spark, folder, "scc", "vertex", "component") == [(v, min(u for u in to[v] if v in to[u])) for v in vertices]
     levels = {300: 0, 301: 1, 302: 2}
-    got = {r[0]: r[1:] for r in map(tuple, entry.queries()["toposort_whole"](spark, folder).select("vertex", "level", "cyclic").collect())}
+    got = {r[0]: r[1:] for r in map(tuple, entry.queries()["toposort"](spark, folder).select("vertex", "level", "cyclic").collect())}
     assert got == {v: (levels.get(v), v not in levels) for v in vertices}
 
 
@@ -61,12 +61,12 @@ def test_whole_communities(spark, folder):
     for _ in range(5):
         votes = {v: Counter(label[u] for u in near[v]) for v in near}
         label = {v: min(c, key=lambda x: (-c[x], x)) for v, c in votes.items()}
-    assert rows(spark, folder, "community_whole", "vertex", "community") == sorted(label.items())
+    assert rows(spark, folder, "community", "vertex", "community") == sorted(label.items())
     m = len({frozenset(e) for e in EDGES})
     inside = Counter(label[a] for a, b in EDGES if label[a] == label[b])
     degree = Counter(label[v] for e in EDGES for v in e)
     want = sum(inside[c] / m - (degree[c] / (2 * m)) ** 2 for c in degree)
-    assert rows(spark, folder, "community_modularity_whole", "modularity")[0][0] == pytest.approx(want)
+    assert rows(spark, folder, "community_modularity", "modularity")[0][0] == pytest.approx(want)
 
 
 def test_caps_are_errors_not_partial_results(spark):

@@ -13,18 +13,21 @@ from .sources.scratch import written
 query = Registry()
 
 SOURCE, TARGET = 7, 11
+#: Steps after which the SQL of paths ends; the queries themselves go on until nothing changes.
+SQL_STEPS = 64
 _EDGES = """edges AS (SELECT src, dst, min(weight) AS weight FROM (SELECT l_partkey AS src,
     lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity AS weight, l_returnflag AS label FROM lineitem)
-    WHERE label = 'R' AND weight >= 20 AND src <> dst GROUP BY 1, 2)"""
-_SPARSE = _EDGES.replace("weight >= 20", "weight >= 46")
+    WHERE label = 'R' AND src <> dst GROUP BY 1, 2)"""
 
 
-def part_edges(spark: SparkSession, d: str, least: float | None = 20) -> DataFrame:
-    """(src, dst, weight) of the edges labelled R, of weight ``least`` at least or all; the window runs inside single orders."""
+def part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, weight) of all edges labelled R; the window runs inside single orders."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("label"))
-    heavy = F.lit(True) if least is None else F.col("weight") >= least
-    return written(e.filter((F.col("label") == "R") & heavy & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
+    e = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("label")
+    )
+    real = (F.col("label") == "R") & (F.col("src") != F.col("dst"))
+    return written(e.filter(real).groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
 
 
 @query(f"WITH {_EDGES} SELECT * FROM edges")
@@ -37,31 +40,31 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree_checked(part_edges(spark, d))
 
 
-_BFS = f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT {SOURCE}::BIGINT AS vertex, 0 AS distance UNION SELECT dst, distance + 1 FROM walk JOIN edges ON src = vertex WHERE distance < 14),
+_BFS = f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT {SOURCE}::BIGINT AS vertex, 0 AS distance UNION SELECT dst, distance + 1 FROM walk JOIN edges ON src = vertex WHERE distance < {SQL_STEPS}),
     dist AS (SELECT vertex, min(distance) AS distance FROM walk GROUP BY 1)"""
 
 
 @query(f"""{_BFS} SELECT vertex, distance, coalesce((SELECT min(e.src) FROM edges e JOIN dist x ON x.vertex = e.src WHERE e.dst = d.vertex AND x.distance = d.distance - 1), -1) AS parent FROM dist d""")
 def graph_distances(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reachable(part_edges(spark, d), SOURCE, 14).fillna(-1, ["parent"])
+    return graph.reachable(part_edges(spark, d), SOURCE).fillna(-1, ["parent"])
 
 
 @query(f"""{_BFS}, up AS (SELECT vertex, distance, (SELECT min(e.src) FROM edges e JOIN dist x ON x.vertex = e.src WHERE e.dst = d.vertex AND x.distance = d.distance - 1) AS parent FROM dist d),
     path AS (SELECT vertex, distance, parent FROM up WHERE vertex = {TARGET} UNION ALL SELECT up.vertex, up.distance, up.parent FROM path JOIN up ON up.vertex = path.parent)
     SELECT distance AS position, vertex, distance::DOUBLE AS distance FROM path""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_path(part_edges(spark, d), SOURCE, TARGET, 14)
+    return graph.shortest_path(part_edges(spark, d), SOURCE, TARGET)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT {SOURCE}::BIGINT AS vertex, 0.0::DOUBLE AS distance, 0 AS k
-    UNION ALL SELECT dst, min(distance + weight), k + 1 FROM walk JOIN edges ON src = vertex WHERE k < 24 GROUP BY dst, k)
+    UNION ALL SELECT dst, min(distance + weight), k + 1 FROM walk JOIN edges ON src = vertex WHERE k < {SQL_STEPS} GROUP BY dst, k)
     SELECT vertex, min(distance) AS distance FROM walk GROUP BY 1""")
 def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
     return graph.weighted_distances(part_edges(spark, d), SOURCE).select("vertex", "distance")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT {SOURCE}::BIGINT AS vertex, 0.0::DOUBLE AS distance, 0 AS k
-    UNION ALL SELECT dst, min(distance + weight), k + 1 FROM walk JOIN edges ON src = vertex WHERE k < 24 GROUP BY dst, k)
+    UNION ALL SELECT dst, min(distance + weight), k + 1 FROM walk JOIN edges ON src = vertex WHERE k < {SQL_STEPS} GROUP BY dst, k)
     SELECT min(distance) AS total_weight FROM walk WHERE vertex = {TARGET}""")
 def weighted_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.weighted_path(part_edges(spark, d), SOURCE, TARGET).agg(F.max("distance").alias("total_weight"))
@@ -72,7 +75,7 @@ def weighted_path(spark: SparkSession, d: str) -> DataFrame:
     SELECT distance AS position, vertex FROM path WHERE distance BETWEEN 1 AND 2""")
 def path_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of a path in pages of two vertices that overlap by one."""
-    return graph.shortest_path(part_edges(spark, d), SOURCE, TARGET, 14).filter("position between 1 and 2").select("position", "vertex")
+    return graph.shortest_path(part_edges(spark, d), SOURCE, TARGET).filter("position between 1 and 2").select("position", "vertex")
 
 
 def _pagerank_sql(rounds: int, personal: int | None) -> str:
@@ -96,7 +99,7 @@ def pagerank_personal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _community_sql(rounds: int) -> str:
-    parts = [f"WITH {_SPARSE}, nb AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c0 AS (SELECT DISTINCT a AS vertex, a AS community FROM nb)"]
+    parts = [f"WITH {_EDGES}, nb AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c0 AS (SELECT DISTINCT a AS vertex, a AS community FROM nb)"]
     for k in range(rounds):
         parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT a AS vertex, community FROM (SELECT a, community, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, community) AS r
             FROM nb JOIN c{k} ON b = vertex GROUP BY a, community) WHERE r = 1)""")
@@ -105,14 +108,14 @@ def _community_sql(rounds: int) -> str:
 
 @query(_community_sql(5) + " SELECT vertex, community FROM c5")
 def community(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(part_edges(spark, d, 46), 5)
+    return graph.communities(part_edges(spark, d), 5)
 
 
 @query(_community_sql(5) + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN c5 x ON x.vertex = a JOIN c5 y ON y.vertex = b),
     g AS (SELECT c, count(*) AS degree FROM (SELECT ca AS c FROM j UNION ALL SELECT cb FROM j) GROUP BY 1), i AS (SELECT ca AS c, count(*) AS w FROM j WHERE ca = cb GROUP BY 1)
     SELECT round(sum(coalesce(w, 0) / m - (degree / (2.0 * m)) ** 2), 9) AS modularity FROM g LEFT JOIN i USING (c), (SELECT count(*) AS m FROM u)""")
 def community_modularity(spark: SparkSession, d: str) -> DataFrame:
-    e = part_edges(spark, d, 46)
+    e = part_edges(spark, d)
     return graph.modularity(e, graph.communities(e, 5)).select(F.round("modularity", 9).alias("modularity"))
 
 
@@ -123,18 +126,21 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
     return graph.cycles(part_edges(spark, d), 3).select("length", F.array_join("cycle", "-").alias("cycle"))
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b),
+@query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b),
     v AS (SELECT src AS vertex FROM edges UNION SELECT dst FROM edges)
     SELECT vertex, coalesce(least(vertex, (SELECT min(r.b) FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a = vertex)), vertex) AS component FROM v""")
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components_strong(part_edges(spark, d, 46))
+    return graph.components_strong(part_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, dag AS (SELECT src, dst FROM edges WHERE src < dst), v AS (SELECT src AS vertex FROM dag UNION SELECT dst FROM dag),
-    walk AS (SELECT vertex, 0 AS level FROM v UNION SELECT dst, level + 1 FROM walk JOIN dag ON src = vertex)
-    SELECT vertex, max(level) AS level, FALSE AS cyclic FROM walk GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b),
+    looped AS (SELECT a FROM reach WHERE a = b), stuck AS (SELECT a AS vertex FROM looped UNION SELECT b FROM reach JOIN looped USING (a)),
+    free AS (SELECT vertex FROM (SELECT src AS vertex FROM edges UNION SELECT dst FROM edges) ANTI JOIN stuck USING (vertex)),
+    walk AS (SELECT vertex, 0 AS level FROM free UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = walk.vertex JOIN free ON dst = free.vertex)
+    SELECT vertex, max(level) AS level, FALSE AS cyclic FROM walk GROUP BY 1 UNION ALL SELECT vertex, NULL::INTEGER, TRUE FROM stuck""")
 def toposort(spark: SparkSession, d: str) -> DataFrame:
-    return graph.topological_levels(part_edges(spark, d, 46).filter("src < dst"))
+    """Levels of the parts that no cycle leads to; all others are cyclic."""
+    return graph.topological_levels(part_edges(spark, d))
 
 
 @query(f"WITH {_EDGES} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS k FROM edges) WHERE k <= 2")
@@ -143,24 +149,3 @@ def graph_first_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, ORACLES = query.queries, query.oracles
-
-#: The same queries on all edges of the label and to any depth; without SQL, as a closure over the whole graph is too slow there.
-ENDLESS = 1_000_000
-_ON_ALL = {
-    "graph_edges": lambda e: e,
-    "graph_degrees": graph.degree_checked,
-    "graph_distances": lambda e: graph.reachable(e, SOURCE, ENDLESS).fillna(-1, ["parent"]),
-    "shortest_path": lambda e: graph.shortest_path(e, SOURCE, TARGET, ENDLESS),
-    "path_page": lambda e: graph.shortest_path(e, SOURCE, TARGET, ENDLESS).filter("position between 1 and 2").select("position", "vertex"),
-    "weighted_distances": lambda e: graph.weighted_distances(e, SOURCE, ENDLESS).select("vertex", "distance"),
-    "weighted_path": lambda e: graph.trace(graph.weighted_distances(e, SOURCE, ENDLESS), TARGET).agg(F.max("distance").alias("total_weight")),
-    "pagerank": lambda e: graph.pagerank(e, most_iterations=8),
-    "pagerank_personal": lambda e: graph.pagerank(e, most_iterations=8, personal=SOURCE),
-    "community": lambda e: graph.communities(e, 5),
-    "community_modularity": lambda e: graph.modularity(e, graph.communities(e, 5)),
-    "cycles": lambda e: graph.cycles(e, 3).select("length", F.array_join("cycle", "-").alias("cycle")),
-    "scc": lambda e: graph.components_strong(e, ENDLESS),
-    "toposort": lambda e: graph.topological_levels(e, ENDLESS),
-    "graph_first_edges": lambda e: graph.first_per_vertex(e, 2),
-}
-WHOLE = {f"{k}_whole": (lambda spark, d, f=f: f(part_edges(spark, d, None))) for k, f in _ON_ALL.items()}
