@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import terms
-from .operators import mutations, patterns, reasoning, relational, shapes
+from .operators import mutations, paths, patterns, reasoning, relational, shapes
 from .registry import Registry
 from .sources.readers import table
 
@@ -152,6 +152,40 @@ def sparql_path(spark: SparkSession, d: str) -> DataFrame:
     return patterns.path_closure(up, "<urn:up>", patterns.match(q, "?s", SEGMENT, '"BUILDING"'))
 
 
+@query(f"SELECT {_C} AS s, {_NR} AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def sparql_path_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """urn:nation/urn:inRegion"""
+    q = quads(spark, d)
+    return paths.sequence(paths.link(q, NATION), paths.link(q, IN_REGION))
+
+
+@query("SELECT '<urn:nation:' || a.n_nationkey || '>' AS s, '<urn:nation:' || b.n_nationkey || '>' AS o FROM nation a JOIN nation b USING (n_regionkey)")
+def sparql_path_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """urn:inRegion/^urn:inRegion"""
+    up = paths.link(quads(spark, d), IN_REGION)
+    return paths.sequence(up, paths.inverse(up))
+
+
+_PLACES = f"""links AS (SELECT {_C} AS s, {_CN} AS o FROM customer UNION SELECT {_N}, {_NR} FROM nation),
+    self AS (SELECT s, s AS o FROM links UNION SELECT o, o FROM links)"""
+
+
+@query(f"WITH {_PLACES} SELECT s, o FROM self UNION SELECT s, o FROM links UNION SELECT a.s, b.o FROM links a JOIN links b ON a.o = b.s")
+def sparql_path_star(spark: SparkSession, d: str) -> DataFrame:
+    """(urn:nation|urn:inRegion)* over the nodes of these links."""
+    q = quads(spark, d)
+    up = paths.alternative(paths.link(q, NATION), paths.link(q, IN_REGION))
+    return paths.zero_or_more(up, paths.nodes(up))
+
+
+@query(f"WITH {_PLACES} SELECT s, o FROM self UNION SELECT s, o FROM links")
+def sparql_path_optional(spark: SparkSession, d: str) -> DataFrame:
+    """(urn:nation|urn:inRegion)? over the nodes of these links."""
+    q = quads(spark, d)
+    up = paths.alternative(paths.link(q, NATION), paths.link(q, IN_REGION))
+    return paths.zero_or_one(up, paths.nodes(up))
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
     q = patterns.match(quads(spark, d), "?s", IN_REGION, "?o").withColumn("o", F.when(F.col("o") == "<urn:region:0>", F.lit("_:r0")).otherwise(F.col("o")))
     return relational.union_members({"primary": q, "secondary": q.filter("s like '%1>'")})
